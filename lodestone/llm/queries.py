@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.rows import distinct_reviews
+from lodestone.llm.language import canonical_language, detect_languages, fit_language_filter
 from lodestone.llm.sentences import sentences
 from lodestone.llm.terms import distinctive_terms, mark_terms, term_statistics
 
@@ -30,6 +31,29 @@ def p1_top_terms(spark: SparkSession, d: str) -> DataFrame:
     return z.withColumn("rank", rank).filter("rank <= 5").select("review_id", "rank", "term", "tf", "records", F.round("z", 6).alias("z"))
 
 
+def _labelled_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """review_id, text, lang: the review's usable label, null if it has none or several that disagree."""
+    raw = spark.read.parquet(f"{d}/review_langs.parquet").filter("review_id is not null").select(F.col("review_id").alias("_id"), canonical_language(F.col("lang")).alias("_lang"))
+    one = raw.groupBy("_id").agg(F.min("_lang").alias("_a"), F.max("_lang").alias("_b")).select("_id", F.when(F.col("_a") == F.col("_b"), F.col("_a")).alias("lang"))
+    r = _reviews(spark, d, "text")
+    return r.join(one, r["review_id"] == one["_id"], "left").drop("_id")
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every distinct review in one language, with its confidence and the review's own label."""
+    rows = _labelled_reviews(spark, d)
+    model = fit_language_filter(rows, "text", "lang", "review_id")
+    return detect_languages(rows.withColumnRenamed("lang", "label"), "review_id", "text", model, ("label",))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of reviews whose label is missing or wrong, or that mix languages."""
+    s = p2_segments(spark, d)
+    whole = W.partitionBy("review_id")
+    case = s.withColumn("_n", F.max("segment_no").over(whole)).withColumn("_l", F.min("lang").over(whole))
+    return case.filter("_n > 0 or label is null or label <> _l").select("review_id", "segment_no", "lang")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms too rare or too common to tell themes apart."""
     return mark_terms(term_statistics(_reviews(spark, d, "lemmas"), "lemmas")).filter("mark is not null").select("term", "mark")
@@ -45,5 +69,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(_reviews(spark, d, "text_cleaned"), "review_id", "text_cleaned")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p4_found, p4_frequencies, p5_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p2_found, p2_segments, p4_found, p4_frequencies, p5_found)}
 SQL: dict[str, str] = {}
