@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.rows import distinct_reviews
 from lodestone.llm.language import canonical_language, detect_languages, fit_language_filter
+from lodestone.llm.personal import find_personal, redact
 from lodestone.llm.sentences import sentences
 from lodestone.llm.terms import distinctive_terms, mark_terms, term_statistics
 
@@ -69,5 +70,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(_reviews(spark, d, "text_cleaned"), "review_id", "text_cleaned")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p2_found, p2_segments, p4_found, p4_frequencies, p5_found)}
+def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    r = _reviews(spark, d, "text")
+    # the gazetteer: the writers' given names, those that occur more than once, the 5,000 most frequent at most
+    names = spark.read.parquet(f"{d}/users.parquet").select(F.trim("name").alias("name")).filter("length(name) > 1").groupBy("name").count().filter("count > 1")
+    given = [x["name"] for x in names.orderBy(F.desc("count"), "name").limit(5000).collect()]
+    return r, find_personal(r, "review_id", "text", given)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each different piece of personal data of every distinct review."""
+    return _personal(spark, d)[1].select("review_id", "kind", "found").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct review with typed placeholders for its personal data."""
+    r, spans = _personal(spark, d)
+    return redact(r, "review_id", "text", spans)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p2_found, p2_segments, p4_found, p4_frequencies, p5_found, p6_found, p6_redacted)}
 SQL: dict[str, str] = {}
