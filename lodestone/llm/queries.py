@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.rows import distinct_reviews
 from lodestone.llm.language import canonical_language, detect_languages, fit_language_filter
+from lodestone.llm.leakage import find_leaks
 from lodestone.llm.personal import find_personal, redact
 from lodestone.llm.sentences import sentences
 from lodestone.llm.terms import distinctive_terms, mark_terms, term_statistics
@@ -89,5 +90,16 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(r, "review_id", "text", spans)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p2_found, p2_segments, p4_found, p4_frequencies, p5_found, p6_found, p6_redacted)}
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with an evaluation passage, with the longest tile and how much of the item it covers."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return find_leaks(docs, "doc_id", "text", spark.read.parquet(f"{d}/eval_items.parquet"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold at least twelve consecutive words of an evaluation item."""
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p2_found, p2_segments, p4_found, p4_frequencies, p5_found, p6_found, p6_redacted, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}
