@@ -28,3 +28,12 @@ def distinct_reviews(reviews: DataFrame, *cols: str) -> DataFrame:
     """One row per ``review_id``: the row loaded first (``loaded_at``, where there is such a column)."""
     order = [F.col("loaded_at").asc_nulls_last()] if "loaded_at" in reviews.columns else []
     return distinct_rows(reviews, "review_id", cols, order)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster has cores, for costly work per row on few input files.
+
+    A table of many files stays as it is, without a shuffle.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
