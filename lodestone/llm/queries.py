@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.rows import distinct_reviews
+from lodestone.functions.rows import distinct_reviews, spread
 from lodestone.llm.language import canonical_language, detect_languages, fit_language_filter
 from lodestone.llm.leakage import find_leaks
+from lodestone.llm.mixing import counted_documents, mix_report, plan_mix, source_key, source_targets
 from lodestone.llm.personal import find_personal, redact
 from lodestone.llm.sentences import sentences
+from lodestone.llm.toxicity import fit_voter, score_documents
 from lodestone.llm.terms import distinctive_terms, mark_terms, term_statistics
 
 
@@ -90,9 +92,13 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(r, "review_id", "text", spans)
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"))
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Every document with an evaluation passage, with the longest tile and how much of the item it covers."""
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = _documents(spark, d)
     return find_leaks(docs, "doc_id", "text", spark.read.parquet(f"{d}/eval_items.parquet"), "item_id", "text")
 
 
@@ -101,5 +107,55 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p2_found, p2_segments, p4_found, p4_frequencies, p5_found, p6_found, p6_redacted, p8_found, p8_leaks)}
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tokens = counted_documents(_documents(spark, d), "doc_id", "text")
+    return tokens, source_targets(tokens, spark.read.parquet(f"{d}/source_weights.parquet"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The listed sources that cannot reach their target in the mix, however often their documents may be used."""
+    tokens, targets = _mix(spark, d)
+    report = mix_report(plan_mix(tokens, "doc_id", targets), targets)
+    return report.filter("short").select("source")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a document, in order of its place in training, small sources coming later and later."""
+    tokens, targets = _mix(spark, d)
+    return plan_mix(tokens, "doc_id", targets, {"blog_posts": [(0.0, 0.5), (1.0, 2.0)]}).orderBy("position", "source", "doc_id", "epoch")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each listed source."""
+    tokens, targets = _mix(spark, d)
+    return mix_report(plan_mix(tokens, "doc_id", targets), targets)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    voter = fit_voter(docs, "doc_id", "text", spark.read.parquet(f"{d}/doc_labels.parquet"), "label")
+    return score_documents(docs, "doc_id", "text", voter, ("source",))
+
+
+#: A document is of a kind from this score on.
+P10_THRESHOLD = 0.33
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual language."""
+    return _scored(spark, d).filter(F.col("score") >= P10_THRESHOLD).select("doc_id", "kind")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score of every document for each kind, with the sentence that speaks for it."""
+    return _scored(spark, d)
+
+
+def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of each kind among the documents of each source."""
+    s = _scored(spark, d).withColumn("source", F.coalesce(source_key(F.col("source")), F.lit("")))
+    return s.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("score") >= P10_THRESHOLD).cast("long")).alias("found"), F.avg((F.col("score") >= P10_THRESHOLD).cast("double")).alias("rate"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p2_found, p2_segments, p4_found, p4_frequencies, p5_found, p6_found, p6_redacted, p8_found, p8_leaks, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_source_rates)}
 SQL: dict[str, str] = {}
