@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.rows import distinct_reviews, spread
+from lodestone.functions.rows import distinct_reviews, distinct_rows, spread
+from lodestone.llm.clusters import alike_groups, communities, neighbour_graph, shingled, typical_members
 from lodestone.llm.language import canonical_language, detect_languages, fit_language_filter
 from lodestone.llm.leakage import find_leaks
 from lodestone.llm.mixing import counted_documents, mix_report, plan_mix, source_key, source_targets
 from lodestone.llm.personal import find_personal, redact
 from lodestone.llm.sentences import sentences
 from lodestone.llm.toxicity import fit_voter, score_documents
+from lodestone.session import durable
 from lodestone.llm.terms import distinctive_terms, mark_terms, term_statistics
 
 
@@ -92,6 +94,32 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(r, "review_id", "text", spans)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of groups of at least three alike reviews, with the group's smallest review_id."""
+    r = spread(spark.read.parquet(f"{d}/reviews.parquet").select("review_id", "text_cleaned", "loaded_at"))
+    g = alike_groups(r, "review_id", "text_cleaned", F.col("loaded_at"))
+    sizes = g.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("review_id").alias("cluster_id")).filter("n >= 3")
+    return g.join(sizes.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c")).select("review_id", "cluster_id")
+
+
+def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of like reviews: size, most typical reviews, prevailing theme."""
+    r = spread(spark.read.parquet(f"{d}/reviews.parquet").select("review_id", "text_cleaned", "loaded_at"))
+    raw = durable(shingled(r, "review_id", "text_cleaned", F.col("loaded_at"), least_words=5))
+    nodes = raw.groupBy("node").agg(F.first("grams").alias("grams"))
+    graph = neighbour_graph(nodes, bands=12, rows=2, k=8, rounds=1, least=0.05)
+    member = communities(graph)
+    one = distinct_rows(raw, "review_id", ["node"], [F.col("_order").asc_nulls_last()])
+    of = durable(one.join(member.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("review_id", "node", F.coalesce("community", "node").alias("community")))
+    themes = spark.read.parquet(f"{d}/review_assignments.parquet").filter("theme_id >= 0 and review_id is not null").groupBy("review_id").agg(F.min("theme_id").alias("theme_id"))
+    votes = of.join(themes, "review_id").groupBy("community", "theme_id").agg(F.count(F.lit(1)).alias("n"))
+    theme = votes.groupBy("community").agg(F.max_by("theme_id", F.struct("n", -F.col("theme_id"))).alias("theme_id"))
+    name = of.groupBy("node").agg(F.min("review_id").alias("review_id"))
+    typical = typical_members(graph, member).join(name, "node").groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "review_id"))), lambda x: x["review_id"]).alias("typical_reviews"))
+    size = of.groupBy("community").agg(F.count(F.lit(1)).alias("reviews"), F.min("review_id").alias("cluster_id"))
+    return size.join(theme, "community", "left").join(typical, "community", "left").select("cluster_id", "reviews", "theme_id", F.coalesce("typical_reviews", F.array("cluster_id")).alias("typical_reviews"))
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"))
 
@@ -157,5 +185,5 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("score") >= P10_THRESHOLD).cast("long")).alias("found"), F.avg((F.col("score") >= P10_THRESHOLD).cast("double")).alias("rate"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p2_found, p2_segments, p4_found, p4_frequencies, p5_found, p6_found, p6_redacted, p8_found, p8_leaks, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_source_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p2_found, p2_segments, p4_found, p4_frequencies, p5_found, p6_found, p6_redacted, p7_found, p7_clusters, p8_found, p8_leaks, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_source_rates)}
 SQL: dict[str, str] = {}
