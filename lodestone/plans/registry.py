@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import corpus
+from lodestone.plans import corpus, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [corpus]
+MODULES = [oracle, corpus]
 
 
 def all_queries() -> dict[str, Query]:
