@@ -186,4 +186,14 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top_terms, p2_found, p2_segments, p4_found, p4_frequencies, p5_found, p6_found, p6_redacted, p7_found, p7_clusters, p8_found, p8_leaks, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_source_rates)}
-SQL: dict[str, str] = {}
+_DISTINCT = "(select * from (select *, row_number() over (partition by review_id order by loaded_at nulls last) as rn from reviews where review_id is not null) where rn = 1)"
+_PIECES = rf"(select review_id, unnest(string_split_regex(lemmas, '[\s\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+')) as p from {_DISTINCT})"
+_TERMS = rf"(select review_id, t as term from (select review_id, regexp_replace(regexp_replace(lower(nfc_normalize(regexp_replace(p, '\p{{Cf}}+', '', 'g'))), '^[^\p{{L}}\p{{N}}\p{{M}}]+', ''), '[^\p{{L}}\p{{N}}\p{{M}}]+$', '') as t from {_PIECES}) where t <> '')"
+_STATS = f"(select term, count(*) as occurrences, count(distinct review_id) as records from {_TERMS} group by term)"
+
+SQL: dict[str, str] = {
+    "p1_found": f"select t.review_id, t.term from (select review_id, term from {_TERMS} group by all having count(*) >= 3) t join {_STATS} s on s.term = t.term where s.records between 2 and 12",
+    "p4_found": f"select term, 'rare' as mark from {_STATS} where records <= 2 union all select term, 'common' from {_STATS} where records > 0.1 * (select count(distinct review_id) from {_TERMS})",
+    "p4_frequencies": f"select term, cast(occurrences as bigint) as occurrences, cast(records as bigint) as records from {_STATS}",
+    "p9_found": "with d as (select regexp_replace(lower(source), '[\\s_\\-]+', '', 'g') as k, sum(length(text)) as own from documents group by 1), w as (select *, regexp_replace(lower(source), '[\\s_\\-]+', '', 'g') as k from source_weights) select w.source from w left join d on d.k = w.k where coalesce(d.own, 0) * w.max_repeats < w.weight / (select sum(weight) from w) * (select sum(own) from d)",
+}
