@@ -158,14 +158,17 @@ def main_context(labels: DataFrame, group: str, label: str = "label") -> DataFra
 
 
 def fit_kmeans(df: DataFrame, k: int, vec: str = "embedding", seed: int = 42, starts: int = 3, method: str = "kmeans", out: str = "label"):
-    """``df`` with cluster numbers and the model of the lowest cost among ``starts`` seeds; ``method`` kmeans or bisecting."""
+    """``df`` with cluster numbers and the model of the lowest cost among ``starts`` seeds; ``method`` kmeans or bisecting.
+
+    A column that is already called ``out`` is replaced.
+    """
     from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.functions import array_to_vector
 
     kinds = {"kmeans": KMeans, "bisecting": BisectingKMeans}
     if method not in kinds:
         raise ValueError(f"fit_kmeans: unknown method {method!r}; there are {sorted(kinds)}")
-    rows = df.withColumn("_v", array_to_vector(as_doubles(F.col(vec))))
+    rows = df.drop(out).withColumn("_v", array_to_vector(as_doubles(F.col(vec))))
     best = min((kinds[method](k=k, seed=seed + i, featuresCol="_v", predictionCol=out).fit(rows) for i in range(starts)), key=lambda m: m.summary.trainingCost)
     return best.transform(rows).drop("_v"), best
 

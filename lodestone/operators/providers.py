@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import STOP_WORDS, mark_negation, remove_stop_words, term_tokens
+from lodestone.functions.text import STOP_WORDS, mark_negation, remove_stop_words, term_tokens, with_bigrams
 from lodestone.functions.vectors import unit
 
 
@@ -19,13 +19,14 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
-def hashed_embedding(x: Column, dim: int = 384) -> Column:
-    """Feature-hashed words and neighbouring pairs as a unit vector, without leaving the JVM. A blank text gives zeros."""
-    t = term_tokens(x, r"[\p{L}\p{N}\p{M}_]+")
-    pairs = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.element_at(t, i + 1), w))
-    at = F.transform(F.concat(t, pairs), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("i"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    zero = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(at, lambda p: p["i"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
-    return unit(zero).cast("array<float>")
+def hashed_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int = 384) -> DataFrame:
+    """``df`` with feature-hashed words and neighbouring pairs as a unit vector, made in the JVM. A blank text gives zeros."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    t = with_bigrams(term_tokens(F.col(text), r"[\p{L}\p{N}\p{M}_]+"))
+    hashed = HashingTF(numFeatures=dim, inputCol="_hashed_terms", outputCol="_hashed").transform(df.withColumn("_hashed_terms", t))
+    return hashed.withColumn(out, unit(vector_to_array("_hashed")).cast("array<float>")).drop("_hashed_terms", "_hashed")
 
 
 def embed(df: DataFrame, text: str, make: Callable[[], Embedder], out: str = "embedding", batch: int = 256) -> DataFrame:

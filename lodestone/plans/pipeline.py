@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clean_text, word_count
-from lodestone.functions.vectors import unit
 from lodestone.operators.clustering import context_labels, elbow, fit_kmeans, main_context, probe_k
 from lodestone.operators.lexical import TfIdf, auto_stop_words, candidate_phrases, centroid_similarity, group_means, rank_phrases, select_diverse, top_terms, weigh
 from lodestone.operators.providers import Labeler, TermsLabeler, hashed_embedding, label_theme, lemma_string
@@ -28,6 +27,7 @@ class Settings:
     components: int = 150
     starts: int = 1
     tree_rows: int = 20_000
+    stop_share: float = 0.25
     seed: int = 42
     weights: TfIdf = field(default_factory=lambda: TfIdf(min_df=15, max_df=0.8, max_features=3000, sublinear=True, pattern="[a-zA-Z_]{2,}"))
 
@@ -37,7 +37,7 @@ def prepare(reviews: DataFrame, s: Settings = Settings()) -> DataFrame:
     require_columns(reviews, ["review_id", "text"], "prepare")
     df = reviews.withColumn("text_cleaned", clean_text(F.col("text")))
     df = df.filter(word_count(F.col("text_cleaned")) >= s.min_words)
-    return df.withColumn("lemmas", lemma_string(F.col("text_cleaned"), 2)).withColumn("embedding", unit(hashed_embedding(F.col("text_cleaned"))))
+    return hashed_embedding(df.withColumn("lemmas", lemma_string(F.col("text_cleaned"), 2)), "text_cleaned")
 
 
 def run_themes(reviews: DataFrame, business_id: str, business_name: str | None = None, labeler: Labeler | None = None, s: Settings = Settings()) -> dict[str, Any]:
@@ -66,7 +66,7 @@ def run_themes(reviews: DataFrame, business_id: str, business_name: str | None =
     k = elbow(curve).filter("selected").first()["k"]
     fitted, _ = fit_kmeans(white, k, "whitened", s.seed, s.starts, out="theme_id")
     docs = durable(fitted.select("review_id", "theme_id", "text", "text_cleaned", "lemmas", "embedding", *[c for c in ("date",) if c in fitted.columns]))
-    stop = [r["term"] for r in auto_stop_words(docs, "review_id", "lemmas").collect()]
+    stop = [r["term"] for r in auto_stop_words(docs, "review_id", "lemmas", s.stop_share).collect()]
     tfidf = TfIdf(s.weights.min_df, s.weights.max_df, s.weights.max_features, s.weights.bigrams, s.weights.sublinear, s.weights.pattern, tuple(stop))
     weights = durable(weigh(docs, "review_id", "lemmas", tfidf, "theme_id"))
     terms = top_terms(group_means(weights, docs, "theme_id").filter("mean > 0"), "theme_id", "mean", 10).groupBy("theme_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def windowed_counts(stream: DataFrame, time: str, kind: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """``start, kind, n`` of a stream or table; rows more than ``late`` behind are dropped by a stream."""
-    w = stream.withWatermark(time, late) if stream.isStreaming else stream
+    w = stream.withColumn(time, F.col(time).cast("timestamp"))
+    w = w.withWatermark(time, late) if stream.isStreaming else w
     return w.groupBy(F.window(time, width).alias("_w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("_w.start").alias("start"), kind, "n")
 
 
