@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.functions.rows import distinct_reviews, distinct_rows
+from lodestone.functions.rows import distinct_reviews, spread
 from lodestone.operators import clustering as cl
 from lodestone.operators import lexical as lx
 from lodestone.operators import relational as rel
@@ -260,24 +260,24 @@ def sql_words(x: str) -> str:
 
 @query("strip_html", f"select review_id, {sql_collapse(sql_strip_html('text'))} as plain from reviews")
 def _(t):
-    return t("reviews").select("review_id", tx.collapse_spaces(tx.strip_html(F.col("text"))).alias("plain"))
+    return spread(t("reviews").select("review_id", "text")).select("review_id", tx.collapse_spaces(tx.strip_html(F.col("text"))).alias("plain"))
 
 
 @query("clean_text", f"select review_id, {sql_clean('text')} as clean from reviews")
 def _(t):
-    return t("reviews").select("review_id", tx.clean_text(F.col("text")).alias("clean"))
+    return spread(t("reviews").select("review_id", "text")).select("review_id", tx.clean_text(F.col("text")).alias("clean"))
 
 
 @query("min_words_filter", f"select review_id, clean from (select review_id, {sql_clean('text')} as clean from reviews) where len({sql_words('clean')}) >= 3")
 def _(t):
-    c = t("reviews").select("review_id", tx.clean_text(F.col("text")).alias("clean"))
+    c = spread(t("reviews").select("review_id", "text")).select("review_id", tx.clean_text(F.col("text")).alias("clean"))
     return c.filter(tx.word_count(F.col("clean")) >= 3)
 
 
 @query("text_stats", f"select review_id, cast(len({sql_words('text_cleaned')}) as int) as words, cast(length(text_cleaned) as int) as chars, round(coalesce(list_avg(list_transform({sql_words('text_cleaned')}, lambda w: length(w))), 0), 6) as avg_word, cast(greatest(1, length(coalesce(text_cleaned, '')) - length(regexp_replace(coalesce(text_cleaned, ''), '[.!?]', '', 'g'))) as int) as sentences from reviews")
 def _(t):
     x = F.col("text_cleaned")
-    return t("reviews").select("review_id", tx.word_count(x).alias("words"), F.length(x).alias("chars"), _r(tx.average_word_length(x)).alias("avg_word"), tx.sentence_count(x).alias("sentences"))
+    return spread(t("reviews").select("review_id", "text_cleaned")).select("review_id", tx.word_count(x).alias("words"), F.length(x).alias("chars"), _r(tx.average_word_length(x)).alias("avg_word"), tx.sentence_count(x).alias("sentences"))
 
 
 def sql_sentences(x: str) -> str:
