@@ -60,8 +60,10 @@ MONTHS = frozenset("januar februar märz maerz april mai juni juli august septem
 GOES_ON = frozenset("and but so which or because although though while that who where y e pero así porque aunque que et mais donc car ou qui und aber oder denn dass weil ma però quindi perché mas por porque en maar want dus dat и а но поэтому".split())
 #: Words that open an adverbial. It goes on after an abbreviation unless a comma shows that it opens a sentence.
 ADVERBIAL = frozenset("in on at for after before with without during since until around under despite although while when as for from to by of thanks even compared right per over".split())
+#: What goes on after an ellipsis: of these, not the words that also open sentences.
+OPENS_TOO = frozenset("that who where when que qui while".split())
 LONE = frozenset("well so oh hmm hm ah ok okay um uh er tja also na ja pues bueno bah beh allora enfin alors nou ну bom então".split())
-TOP_DOMAINS = frozenset("com org net edu gov info biz io co uk de fr es it pt nl ru in th jp cn eu us example test invalid localhost".split())
+TOP_DOMAINS = frozenset("com org net edu gov info biz io co uk de fr es pt nl ru th jp cn eu us example test invalid localhost".split())
 # --- end of fixed values ---
 
 _NEVER = frozenset(w for s in BEFORE_MORE.values() for w in s.split())
@@ -84,6 +86,8 @@ _NEXT = re.compile(r"[^\S]*[\"'“„«»‹「『(（\[¿¡—–-]*\s*(\w?)")
 _NEXT_WORD = re.compile(r"\s*[\"'“„«¿¡]*([^\W\d_]+)")
 _THAI = re.compile(r"[ก-๿]")
 _SPACE = re.compile(r"\s*")
+#: The rest of an address that is spelled out or spaced out.
+_SPELLED = re.compile(r"[\w.+-]+ ?(?:[\[(]at[\])]|@|at [\w.-]+ dot\b)", re.I)
 _DIGITS = re.compile(r"\d+\Z")
 _PHRASE = re.compile(rf"[^,;{_STERM}{_ATERM}…]*")
 
@@ -177,7 +181,7 @@ def _ends(text: str, m: re.Match[str], begin: int, cased: bool, quoted: bool, en
     ellipsis = "…" in t or t.count(".") > 1 and "!" not in t and "?" not in t
     if not period and not ellipsis:
         if t[-1] in "!?" or t[0] in "!?":
-            return bool(nxt) and not (cased and nxt.islower() and spaced) or not nxt
+            return not nxt or not (cased and nxt.islower() and spaced and _joins(text, end))
         return text[end] not in ",，、;；:："
     if ellipsis:
         if nxt.islower():
@@ -185,7 +189,7 @@ def _ends(text: str, m: re.Match[str], begin: int, cased: bool, quoted: bool, en
                 return False
             w = _NEXT_WORD.match(text, end)
             before = text[begin:at].strip().lower()
-            return not (w and w[1].lower() in GOES_ON or before in LONE or " " not in before and spaced)
+            return not (w and w[1].lower() in GOES_ON - OPENS_TOO or before in LONE or " " not in before and spaced)
         return nxt.isalnum() or not nxt
     words = text[max(begin, at - 40) : at].rsplit(None, 1)
     word = words[-1].lstrip(_OPENING).lower() if words and not text[at - 1].isspace() else ""
@@ -197,10 +201,10 @@ def _ends(text: str, m: re.Match[str], begin: int, cased: bool, quoted: bool, en
         if not left.isalnum() or len(word.rpartition(".")[2]) < 2 and not word[-1:].isdigit():
             return False
         run = text[text.rfind(" ", 0, at) + 1 : (text.find(" ", end) + 1 or len(text) + 1) - 1]
-        if "@" in run or "://" in run or "(at)" in run or "[at]" in run or run.startswith("www.") or text[:at].rstrip().endswith("@"):
+        if "@" in run or "://" in run or "(at)" in run or "[at]" in run or run.startswith("www."):
             return False
-        prev = text[: text.rfind(" ", 0, at) + 1].rstrip()
-        if prev.endswith("@"):
+        prev = text[max(0, text.rfind(" ", 0, at) - 6) : text.rfind(" ", 0, at) + 1].rstrip().lower()
+        if prev.endswith(("@", "[at]", "(at)")) or _SPELLED.match(text, end):
             return False
         right = re.match(r"\w+", text[end:])[0]
         if after.isupper():
@@ -237,11 +241,15 @@ def _ends(text: str, m: re.Match[str], begin: int, cased: bool, quoted: bool, en
                 before = text[begin : at - len(word)].split()
                 return core == "st" and nxt.isupper() and bool(before) and before[-1][:1].isupper()
             return not nxt.isdigit()
-        if name or initial and core[-1] not in "yeoи":
+        if name or initial:
             return False
-        if initial and cased and text[at - 1].isupper():
-            return False
-    return not (cased and nxt.islower())
+    # a whole word and a period end a sentence even if the next one has no capital
+    return not (cased and nxt.islower()) or len(core) > 3 and core.isalpha() and not _joins(text, end)
+
+
+def _joins(text: str, pos: int) -> bool:
+    m = _NEXT_WORD.match(text, pos)
+    return not m or m[1].lower() in GOES_ON or m[1].lower() in ADVERBIAL
 
 
 def _segment(key_name: str):
