@@ -107,7 +107,7 @@ def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
     r = spread(spark.read.parquet(f"{d}/reviews.parquet").select("review_id", "text_cleaned", "loaded_at"))
     raw = durable(shingled(r, "review_id", "text_cleaned", F.col("loaded_at"), least_words=5))
     nodes = raw.groupBy("node").agg(F.first("grams").alias("grams"))
-    graph = neighbour_graph(nodes, bands=12, rows=2, k=8, rounds=1, least=0.05)
+    graph = neighbour_graph(nodes, bands=8, rows=1, k=5, rounds=1, least=0.05)
     member = communities(graph)
     one = distinct_rows(raw, "review_id", ["node"], [F.col("_order").asc_nulls_last()])
     of = durable(one.join(member.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("review_id", "node", F.coalesce("community", "node").alias("community")))
