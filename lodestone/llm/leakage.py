@@ -134,13 +134,14 @@ def find_leaks(documents: DataFrame, doc_key: str, text_col: str, items: DataFra
     Case, accents, punctuation, spacing, markup and look-alike letters do not count. The items are taken in blocks of at
     most ``block_words`` words, each broadcast in turn and held against all documents, so what is broadcast is bounded
     however many items there are. No shuffle. Null and empty texts on either side leak nothing; items and documents with
-    equal texts are reported each.
+    equal texts are reported each. If both keys have one name, the item's comes out as ``<name>_item``.
     """
     require_columns(documents, [doc_key, text_col], "find_leaks")
     require_columns(items, [item_key, item_text], "find_leaks")
     if not 1 <= seed <= run:
         raise ValueError("find_leaks: seed must lie between 1 and run")
     spark = documents.sparkSession
+    item_out = item_key if item_key != doc_key else f"{item_key}_item"
     blocks: list[list[tuple[object, str]]] = [[]]
     held = 0
     for r in items.select(item_key, item_text).filter(F.col(item_text).isNotNull()).toLocalIterator():
@@ -150,7 +151,7 @@ def find_leaks(documents: DataFrame, doc_key: str, text_col: str, items: DataFra
             held = 0
         blocks[-1].append((r[0], r[1]))
         held += n
-    out_schema = T.StructType([T.StructField(doc_key, documents.schema[doc_key].dataType), T.StructField(item_key, items.schema[item_key].dataType), T.StructField("longest", T.IntegerType()), T.StructField("covered", T.IntegerType()), T.StructField("coverage", T.DoubleType())])
+    out_schema = T.StructType([T.StructField(doc_key, documents.schema[doc_key].dataType), T.StructField(item_out, items.schema[item_key].dataType), T.StructField("longest", T.IntegerType()), T.StructField("covered", T.IntegerType()), T.StructField("coverage", T.DoubleType())])
     item_type = pa.int64() if isinstance(items.schema[item_key].dataType, T.LongType) else pa.int32() if isinstance(items.schema[item_key].dataType, T.IntegerType) else pa.string()
 
     def scan(block: list[tuple[object, str]]) -> DataFrame:
@@ -175,7 +176,7 @@ def find_leaks(documents: DataFrame, doc_key: str, text_col: str, items: DataFra
                             covered = sum(x[2] for x in t)
                             docs.append(key)
                             rows.append((k, longest, covered, round(covered / max(1, len(w)), 6)))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array([r[0] for r in rows], item_type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.float64())], [doc_key, item_key, "longest", "covered", "coverage"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array([r[0] for r in rows], item_type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.float64())], [doc_key, item_out, "longest", "covered", "coverage"])
 
         return documents.select(doc_key, text_col).mapInArrow(go, out_schema)
 

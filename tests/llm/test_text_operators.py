@@ -166,6 +166,8 @@ def test_leaks(spark):
         assert set(got) == {(i, k) for i in (1, 2, 4, 8) for k in (10, 11)}
         assert got[1, 10] == (len(ITEM), 1.0) and got[2, 10][0] == 12
     assert find_leaks(d, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+    same = find_leaks(d, "doc_id", "text", items.withColumnRenamed("item_id", "doc_id"), "doc_id", "text")
+    assert "doc_id_item" in same.columns and same.count() == 8
 
 
 def test_tiles_do_not_overlap():
