@@ -65,12 +65,13 @@ class BlockMaxIndex:
     small terms can reach the threshold, and is then scored in full.
     """
 
-    def __init__(self, examples: Sequence[list[str]]):
+    def __init__(self, examples: Sequence[list[str]], like: BlockMaxIndex | None = None):
+        """``like``: an index over more examples whose term weights are taken."""
         self.n = len(examples)
         df = Counter(t for x in examples for t in set(x))
         self.terms = {t: i for i, t in enumerate(df)}
-        self.idf = {t: math.log((1 + self.n) / (1 + c)) + 1 for t, c in df.items()}
-        self.unknown = math.log(1 + self.n) + 1
+        self.idf = like.idf if like else {t: math.log((1 + self.n) / (1 + c)) + 1 for t, c in df.items()}
+        self.unknown = like.unknown if like else math.log(1 + self.n) + 1
         self.blocks = (self.n + BLOCK - 1) // BLOCK
         vectors = [self._vector(x) for x in examples]
         self.starts = np.zeros(self.n + 1, np.int64)
@@ -202,6 +203,8 @@ class Voter:
             for (n, i), x in part.items():
                 self.share[i][c] += x / self.count[i]
         self.share = [[0.0 if x < 0.15 else x for x in r] for r in self.share]
+        # most sentences are near no example of a kind; the few such examples have an index of their own, with the same weights
+        self.of_kinds = BlockMaxIndex([r[0] for r, share in zip(ordered, self.share) if max(share) > 0], self.index)
         #: For each term the largest weight among examples of a kind: what they can at most have in common with a sentence.
         self.tops: dict[str, float] = {}
         for r, share in zip(ordered, self.share):
@@ -234,6 +237,8 @@ class Voter:
         get = self.tops.get
         if sum(w * get(t, 0.0) for t, w in self.index._vector(f).items()) < self.least:
             return [0.0] * len(KINDS), -1  # no example of a kind is near enough to vote
+        if not self.of_kinds.nearest(f, 1, self.least):
+            return [0.0] * len(KINDS), -1
         mass, votes, first = self.shrink, [self.shrink * b for b in self.base], -1
         for cos, i in self.index.nearest(f, self.k, self.least):
             w = cos * cos * min(self.count[i], 3)
