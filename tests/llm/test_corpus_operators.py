@@ -62,6 +62,20 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_chains_with_random_names(spark):
+    r = np.random.default_rng(5)
+    edges, want = [], {}
+    for chain in range(6):
+        names = [int(x) for x in r.integers(-(1 << 62), 1 << 62, 300)]
+        edges += [(*sorted(p), 1.0) for p in zip(names, names[1:])]
+        want |= dict.fromkeys(names, min(names))
+    e = spark.createDataFrame(edges, "a long, b long, similarity double")
+    assert {x["node"]: x["component"] for x in components(e).collect()} == want
+    with pytest.raises(RuntimeError):
+        components(e, rounds=2)
+    assert components(e.limit(0)).count() == 0
+
+
 def test_communities(spark):
     edges = [(a, b, 1.0) for c in (0, 10, 20) for a, b in combinations(range(c, c + 6), 2)] + [(0, 10, 0.1), (10, 20, 0.1)]
     e = spark.createDataFrame(edges, "a long, b long, similarity double")
