@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.clusters import alike_groups, communities, components, modularity, shingle_words, typical_members
+from lodestone.llm.clusters import alike_groups, communities, components, modularity, prefix_links, shingle_words, typical_members, with_similarity
 from lodestone.llm.mixing import GRID, count_tokens, demand, mix_report, plan_mix, source_targets
 
 
@@ -76,6 +76,27 @@ def test_components_of_chains_with_random_names(spark):
     assert components(e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2_000, 7])
+def test_no_alike_pair_is_missed(spark, hot):
+    r = np.random.default_rng(3)
+    shared = r.choice(1 << 30, 36, False)  # boilerplate: 60 % of each set
+    sets = {}
+    for g in range(60):
+        base = r.integers(1 << 30, 1 << 31, 24)
+        for c in range(1 + g % 4):
+            own = np.concatenate([base[: 24 - 3 * c], r.integers(1 << 30, 1 << 31, 3 * c)])
+            sets[int(r.integers(-(1 << 62), 1 << 62))] = {int(x) for x in np.concatenate([shared, own])}
+    for c in range(40):  # similarities around a half, without boilerplate; sizes differ
+        base = r.integers(0, 1 << 31, 40 + c)
+        for keep in (1.0, 0.8, 0.67, 0.6, 0.5):
+            sets[int(r.integers(-(1 << 62), 1 << 62))] = {int(x) for x in base[: int(keep * len(base))]}
+    want = {tuple(sorted((a, b))) for (a, x), (b, y) in combinations(sets.items(), 2) if len(x & y) / len(x | y) >= 0.5}
+    nodes = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "node long, grams array<int>")
+    links = prefix_links(nodes, 0.5, hot)
+    assert {(x["a"], x["b"]) for x in with_similarity(links, nodes, 0.5).collect()} == want
+    assert links.count() < 3 * len(want)
+
+
 def test_communities(spark):
     edges = [(a, b, 1.0) for c in (0, 10, 20) for a, b in combinations(range(c, c + 6), 2)] + [(0, 10, 0.1), (10, 20, 0.1)]
     e = spark.createDataFrame(edges, "a long, b long, similarity double")
