@@ -24,7 +24,7 @@ PLAIN = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy''\"\"--"
 LIGATURES = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
 NEGATORS = ("not", "no", "nor", "never")
 #: Abbreviations whose period does not end a sentence, matched as they stand.
-ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Sr.", "Jr.", "St.", "vs.", "etc.", "e.g.", "i.e.", "U.S.")
+ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Sr.", "Jr.", "St.", "Mt.", "vs.", "etc.", "e.g.", "i.e.")
 STOP_WORDS = tuple(
     "a about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves".split()
 )
@@ -120,19 +120,18 @@ def sentence_units(x: Column, min_chars: int = 10) -> Column:
 
 
 def mark_negation(tokens: Column, scope: int = 0, negators: Sequence[str] = NEGATORS) -> Column:
-    """Tokens with ``NOT_t`` marks for the ``scope`` tokens after each negator that are no negators; 0 leaves them alone.
+    """Tokens with ``NOT_t`` marks for the next ``scope`` tokens after each negator that are no negators; 0 leaves them alone.
 
-    The marks stand right after the negator, and the tokens themselves stay too.
+    Negators in between are passed over and do not use up the scope. The marks stand right after the negator, and the
+    tokens themselves stay too. A null array stays null.
     """
     if scope <= 0:
         return tokens
     neg = F.array(*[F.lit(n) for n in negators])
+    rest = lambda i: F.filter(F.slice(tokens, i + 2, F.greatest(F.size(tokens), F.lit(0))), lambda u: ~F.array_contains(neg, u))
     marked = F.transform(
         tokens,
-        lambda t, i: F.when(
-            F.array_contains(neg, t),
-            F.concat(F.array(t), F.transform(F.filter(F.slice(tokens, i + 2, scope), lambda u: ~F.array_contains(neg, u)), lambda u: F.concat(F.lit("NOT_"), u))),
-        ).otherwise(F.array(t)),
+        lambda t, i: F.when(F.array_contains(neg, t), F.concat(F.array(t), F.transform(F.slice(rest(i), 1, scope), lambda u: F.concat(F.lit("NOT_"), u)))).otherwise(F.array(t)),
     )
     return F.flatten(marked)
 

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,9 +161,8 @@ def explode_packed(df: DataFrame, key: str, columns: Sequence[str], source_col:
     Method: fields are grouped by source (``source_col``, else the fingerprint of the exporter that the value shows:
     bracket, quoting and the delimiters outside quotes); each source's delimiter is the candidate with the most regular
     and consistent pieces; each field is then split by its source's delimiter, quoting observed. One row is taken for
-    each key. Null keys, null fields and fields that only say "nothing" give no row. The table of sources is a few
-    hundred rows by construction; with ``source_col`` it is checked against ``max_sources`` before it goes to the
-    workers, and joined instead when it is larger.
+    each key. Null keys, null fields and fields that only say "nothing" give no row. The table of sources goes to the
+    workers when it has at most ``max_sources`` rows; a larger one is joined.
     """
     require_columns(df, [key, *columns, *([source_col] if source_col else [])], "explode_packed")
     one = distinct_rows(df, key, [*dict.fromkeys([*columns, *([source_col] if source_col else [])])])
@@ -171,7 +171,10 @@ def explode_packed(df: DataFrame, key: str, columns: Sequence[str], source_col:
     found = best.select("source", "delimiter").limit(max_sources + 1).collect()
     named = source_col is not None
     if len(found) > max_sources:
-        src = F.concat_ws("\x1f", "field_name", F.coalesce("_source", F.lit("None")))
+        if named:
+            src = F.concat_ws("\x1f", "field_name", F.coalesce("_source", F.lit("None")))
+        else:
+            src = F.pandas_udf(lambda f, v: pd.Series([source_of(y, x) for x, y in zip(f, v)]), "string")("field_name", "value")
         fields = fields.withColumn("source", src).join(best, "source", "left").select("_key", "field_name", "value", "delimiter")
         table: dict[str, str] | None = None
     else:

@@ -65,3 +65,11 @@ def test_scores_and_empty_table(spark):
 def test_missing_column(spark):
     with pytest.raises(ValueError, match="friends"):
         explode_packed(spark.range(1), "id", ["friends"])
+
+
+@pytest.mark.parametrize("source", [None, "src"])
+def test_more_sources_than_are_broadcast(spark, source):
+    rows = [("u1", "a_long_user_name_01; Ann", "2010|2011", "x", "e1"), ("u2", '"B, C", D', "[2012]", None, "e2"), ("u3", None, "none", None, None)]
+    df = spark.createDataFrame(rows, "user_id string, friends string, elite string, item string, src string")
+    few = sorted(map(tuple, explode_packed(df, "user_id", ["friends", "elite"], source, max_sources=1).collect()))
+    assert few == sorted(map(tuple, explode_packed(df, "user_id", ["friends", "elite"], source).collect())) and few

@@ -37,6 +37,8 @@ def test_sentence_count(spark, x, n):
     "x, units",
     [
         ("Dr. Smith was very kind. He fixed my tooth.", ["Dr. Smith was very kind.", "He fixed my tooth."]),
+        ("We drove up Mt. Hood today. It was cold.", ["We drove up Mt. Hood today.", "It was cold."]),
+        ("Made in the U.S. Great product here.", ["Made in the U.S.", "Great product here."]),
         ("Yes! No! This place is great.", ["This place is great."]),
         ("good food. bad service here.", ["good food. bad service here."]),
         (None, []),
@@ -52,6 +54,10 @@ def test_negation(spark):
     assert one(spark, "wait was not too long", split(2)) == "wait was not NOT_too NOT_long too long".split()
     assert one(spark, "wait was not too long", split(0)) == "wait was not too long".split()
     assert one(spark, "not never go", split(2)) == "not NOT_go never NOT_go go".split()
+    # negators in between do not use up the scope
+    assert one(spark, "not never too long", split(2)) == "not NOT_too NOT_long never NOT_too NOT_long too long".split()
+    assert one(spark, "no", split(3)) == ["no"]
+    assert one(spark, None, split(2)) is None
 
 
 def test_words_and_lengths(spark):
