@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.language import LANGUAGES, BitmaskFilter, canonical_language, detect_languages, fit_language_filter, language_segments, ngrams, train_filter
 from lodestone.llm.leakage import find_leaks, plain_words, tiles
 from lodestone.llm.personal import candidates, find_personal, fit_span_model, redact
+from lodestone.llm.queries import p6_found
 from lodestone.llm.sentences import sentence_spans, sentences
 from lodestone.llm.toxicity import BlockMaxIndex, Voter, features, fit_voter, score_documents, unmask
 
@@ -139,6 +140,31 @@ def test_personal(spark):
     assert find_personal(df.limit(0), "id", "t", GIVEN).count() == 0
 
 
+def _letters(i):
+    return "".join(chr(97 + int(d)) for d in f"{i:06d}")
+
+
+def test_no_word_of_the_gazetteer_is_left_out(spark, tmp_path):
+    # more family names than were ever kept, the rarest by rank last; "Odalys" is the name of one writer only
+    many = " ".join(f"Anna Q{_letters(i)}, Anna Q{_letters(i)}." for i in range(20_100)) + " Anna Zorvath."
+    texts = [many, "many thanks to zorvath for all of it", "It was Odalys who came by.", "thanks to anna zorvath", None, ""]
+    r = spark.createDataFrame([(f"r{i}", t, None) for i, t in enumerate(texts)], "review_id string, text string, loaded_at timestamp")
+    r.write.parquet(f"{tmp_path}/reviews.parquet")
+    spark.createDataFrame([("Anna",), ("Anna",), ("Odalys",), ("",), (None,)], "name string").write.parquet(f"{tmp_path}/users.parquet")
+    got = {(x["review_id"], x["found"]) for x in p6_found(spark, str(tmp_path)).filter("review_id <> 'r0'").collect()}
+    assert got == {("r1", "zorvath"), ("r2", "Odalys"), ("r3", "anna zorvath")}
+
+
+@pytest.mark.parametrize("most", [0, 1, 7])
+def test_joined_gazetteer_equals_broadcast_one(spark, most):
+    more = ["Ask for anna-lena Zorvath-Meyer, she was great", "thanks to zorvath", "Jean-Boris O'Neil helped. THANKS ANNA!", "my friend is here", "Thank you, Meyer, Anna."]
+    rows = [(f"{i}-{k}", t) for k in range(4) for i, (t, _, _) in enumerate(PERSONAL)] + [(f"m{i % 7}", t) for i, t in enumerate(more * 3)] + [(None, more[0]), ("n", None), ("e", "")]
+    df = spark.createDataFrame(rows, "id string, t string")
+    found = lambda given, **a: sorted(str((*r[:5], round(r["probability"], 9))) for r in find_personal(df, "id", "t", given, **a).collect())
+    want = found(GIVEN)
+    assert found([*GIVEN, "Kalle"], most=most) == want and len(want) > 50
+
+
 def test_span_model_weighs_labelers():
     m = fit_span_model([("phone", "++0", 0, 900), ("phone", "+00", 0, 50), ("phone", "0--", 0, 700), ("phone", "00-", 0, 40)])
     assert m.probability("phone", "++0", 0) > 0.9 > 0.1 > m.probability("phone", "0--", 0)
