@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.clusters import alike_groups, communities, components, modularity, prefix_links, shingle_words, typical_members, with_similarity
 from lodestone.llm.mixing import GRID, count_tokens, demand, mix_report, plan_mix, source_targets
+from lodestone.llm.queries import p7_clusters
 
 
 def _texts():
@@ -56,6 +57,20 @@ def test_groups_equal_brute_force(spark):
     assert alike_groups(df.limit(0), "id", "t", F.timestamp_seconds("at")).count() == 0
 
 
+def test_every_distinct_review_is_in_a_cluster(spark, tmp_path):
+    texts = [t for _, t in _texts()] + ["Great place!!", "great place.", "So so", "本日のスープ。", "本日のスープは美味しい。", "x", "!!!", "", None, "one two three four"]
+    rows = [(f"r{i}", t, f"2024-01-0{1 + i % 3}") for i, t in enumerate(texts)] + [("r0", "other", "2024-02-01"), (None, "nobody's text", "2024-02-01")]
+    spark.createDataFrame(rows, "review_id string, text_cleaned string, at string").selectExpr("review_id", "text_cleaned", "cast(at as timestamp) as loaded_at").write.parquet(f"{tmp_path}/reviews.parquet")
+    spark.createDataFrame([("r1", 2)], "review_id string, theme_id int").write.parquet(f"{tmp_path}/review_assignments.parquet")
+    got = p7_clusters(spark, str(tmp_path)).collect()
+    assert sum(r["reviews"] for r in got) == len(texts) and len({r["cluster_id"] for r in got}) == len(got)
+    ids = {t: f"r{i}" for i, t in reversed(list(enumerate(texts)))}
+    by = {r["cluster_id"]: r["reviews"] for r in got}
+    wordless = sum(not shingle_words(t or "") for t in texts)
+    assert by[min(f"r{i}" for i, t in enumerate(texts) if not shingle_words(t or ""))] == wordless == 5
+    assert ids["So so"] in by and ids["x"] in by and ids["great place."] not in by
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)] + [(100, 101, 1.0)], "a long, b long, similarity double")
     got = {r["node"]: r["component"] for r in components(e).collect()}
