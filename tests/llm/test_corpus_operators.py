@@ -1,12 +1,15 @@
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import clusters
 from lodestone.llm.clusters import alike_groups, communities, components, modularity, prefix_links, shingle_words, typical_members, with_similarity
 from lodestone.llm.mixing import GRID, count_tokens, demand, mix_report, plan_mix, source_targets
 from lodestone.llm.queries import p7_clusters
+from lodestone.session import durable
 
 
 def _texts():
@@ -57,6 +60,23 @@ def test_groups_equal_brute_force(spark):
     assert alike_groups(df.limit(0), "id", "t", F.timestamp_seconds("at")).count() == 0
 
 
+def test_sets_are_stored_once_and_stay_in_place(spark, monkeypatch):
+    rows = [(f"{k}x{i}", t) for k, t in _texts() for i in range(1 + 9 * (k == "g01c0"))]
+    df = spark.createDataFrame(rows, "id string, t string").repartition(3)
+    raw, nodes = clusters._placed(clusters.shingled(df, "id", "t", F.lit(None)), "id")
+    long = {k: frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) for k, t in rows if len(w := shingle_words(t or "")) >= 36}
+    assert sorted(r["id"] for r in raw.collect()) == sorted(long) and nodes.count() == len(set(long.values()))
+    assert {(r["node"], len(r["grams"])) for r in nodes.collect()} == {(r["node"], len(long[r["id"]])) for r in raw.collect()}
+    links = nodes.select(F.col("node").alias("a")).crossJoin(nodes.select(F.col("node").alias("b"))).filter("a < b").repartition(4, "b")
+    plan = with_similarity(durable(links), nodes, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the links by b and by a, never the sets
+    batch = pa.RecordBatch.from_pydict({"id": ["a", "b", "c", "d"], "t": [rows[0][1], rows[1][1], rows[0][1], rows[0][1]], "o": pa.nulls(4, pa.timestamp("us"))})
+    sent = lambda: [r is not None for b in clusters._sets(3, 36)(iter([batch, batch])) for r in b.column(3).to_pylist()]
+    assert sent() == [True, True] + 6 * [False]
+    monkeypatch.setattr(clusters, "SEEN", 1)
+    assert sent() == [True, True, True, False, False, True, True, False]
+
+
 def test_every_distinct_review_is_in_a_cluster(spark, tmp_path):
     texts = [t for _, t in _texts()] + ["Great place!!", "great place.", "So so", "本日のスープ。", "本日のスープは美味しい。", "x", "!!!", "", None, "one two three four"]
     rows = [(f"r{i}", t, f"2024-01-0{1 + i % 3}") for i, t in enumerate(texts)] + [("r0", "other", "2024-02-01"), (None, "nobody's text", "2024-02-01")]
