@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestone.llm.terms import ARRAY_MAX, BLOCK, container, container_ids, distinctive_terms, mark_terms, normalise_term, term_bitmaps, term_statistics
+from lodestone.llm.terms import ARRAY_MAX, BLOCK, bitmap_statistics, container, container_ids, distinctive_terms, mark_terms, normalise_term, term_bitmaps, term_statistics
 
 TEXTS = ["Soup soup! SOUP; great", "soup great great​ (great)", "NOT_good good  café café", "", None, "!!! --", "zzz­z zzzz ZZZZ"]
 
@@ -49,6 +49,24 @@ def test_bitmap_cardinality(spark):
     assert sum(len(container_ids(r["ids"])) for r in b) == 2 == sum(r["records"] for r in b)
 
 
+def test_records_are_read_from_the_bitmaps(spark):
+    sizes = [1, 255, ARRAY_MAX - 1, ARRAY_MAX, ARRAY_MAX + 1, BLOCK]
+    rows = [(t, block, -1, n + block, bytes(container(array("H", range(BLOCK - n, BLOCK))))) for t in ("a", "b", None) for block, n in enumerate(sizes) if t != "b" or n != BLOCK]
+    made = spark.createDataFrame(rows, "term string, block long, records int, occurrences long, ids binary").repartition(3)
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in bitmap_statistics(made).collect()}
+    assert got == {"a": (sum(sizes) + 15, sum(sizes)), "b": (sum(sizes[:-1]) + 10, sum(sizes[:-1])), None: (sum(sizes) + 15, sum(sizes))}
+    stats = term_statistics(_frame(spark), "lemmas")
+    assert "length(ids" in stats._jdf.queryExecution().optimizedPlan().toString()  # it asks the containers
+    assert term_bitmaps(_frame(spark), "lemmas").filter("ids is null").count() == 0
+
+
+def test_a_term_of_more_than_a_block(spark):
+    n = BLOCK + 5000
+    df = spark.range(n, numPartitions=1).selectExpr("cast(id as string) as review_id", "if(id % 2 = 0, 'all all even', 'all') as lemmas")
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in term_statistics(df, "lemmas").collect()}
+    assert got == {"all": (n + n // 2, n), "even": (n // 2, n // 2), None: (n + n // 2 * 2, n)}
+
+
 def test_marks(spark):
     rows = [(f"r{i}", "all " + ("half " if i % 2 else "") + f"own{i} own{i // 3 * 3}") for i in range(40)]
     got = {(r["term"], r["mark"]) for r in mark_terms(term_statistics(_frame(spark, rows), "lemmas")).collect() if r["mark"]}
